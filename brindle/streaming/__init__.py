@@ -1,0 +1 @@
+"""No streaming operators: none are specified."""
