@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+UNIT = Decimal("0.0001")
+
 
 def money(amount: Column) -> Column:
     """Exact two-decimal amount.
@@ -13,6 +17,30 @@ def money(amount: Column) -> Column:
     return amount.cast("decimal(15,2)")
 
 
-def discounted(price: Column, discount: Column) -> Column:
-    """``price * (1 - discount)`` in exact decimals."""
-    return money(price) * (F.lit(1) - money(discount))
+def _within_quarter(scaled: Column, bound: float) -> Column:
+    return (F.abs(scaled - F.rint(scaled)) < 0.25) & (F.abs(scaled) < bound)
+
+
+def discounted_units(price: Column, discount: Column) -> Column:
+    """``money(price) * (1 - money(discount))``, counted in units of 0.0001.
+
+    Turning a double into a decimal goes through its printed digits, and
+    decimals beyond 18 digits are objects, which costs more than the rest of the
+    query. Where both amounts lie well within half a cent of a whole number of
+    cents there is only one way to round them, and the product is computed in
+    64-bit integers: below the bounds it has at most 17 digits, and the error of
+    the scaling is far less than the quarter cent to spare. All other rows take
+    the decimal cast.
+    """
+    cents, percent = price * 100, discount * 100
+    in_integers = F.rint(cents).cast("bigint") * (100 - F.rint(percent).cast("bigint"))
+    in_decimals = money(price) * (F.lit(1) - money(discount)) / F.lit(UNIT)
+    return F.when(
+        _within_quarter(cents, 1e12) & _within_quarter(percent, 1e4),
+        in_integers.cast("decimal(18,0)"),
+    ).otherwise(in_decimals.cast("decimal(38,0)"))
+
+
+def from_units(units: Column) -> Column:
+    """The amount for a number of units, as ``decimal(38,4)``."""
+    return (units * F.lit(UNIT)).cast("decimal(38,4)")

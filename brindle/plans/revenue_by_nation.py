@@ -18,7 +18,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.money import discounted
+from brindle.functions.money import discounted_units, from_units
 from brindle.operators.totals import total_by
 from brindle.sources.tables import read_table
 
@@ -53,7 +53,7 @@ def _splits_hot_partitions(spark: SparkSession) -> bool:
 def _priced(lines: DataFrame, key: str) -> DataFrame:
     return lines.select(
         key,
-        discounted(F.col("l_extendedprice"), F.col("l_discount")).alias("revenue"),
+        discounted_units(F.col("l_extendedprice"), F.col("l_discount")).alias("revenue"),
         F.lit(1).cast("bigint").alias("n"),
     )
 
@@ -86,9 +86,7 @@ def revenue_by_nation(
     by_name = total_by(
         by_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "n_name"
     )
-    return by_name.select(
-        "n_name", F.col("revenue").cast("decimal(38,4)").alias("revenue"), "n"
-    )
+    return by_name.select("n_name", from_units(F.col("revenue")).alias("revenue"), "n")
 
 
 def from_tables(spark: SparkSession, root: str) -> DataFrame:

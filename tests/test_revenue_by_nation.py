@@ -206,23 +206,35 @@ def hot_expected(copies=30_000):
     return {k: (Decimal(v).scaleb(-4), n) for k, (v, n) in groups.items()}
 
 
-@pytest.mark.parametrize("adaptive", ["true", "false"])
-def test_hot_keys(spark, conf, capsys, tmp_path, adaptive):
+HOT = dict(
+    autoBroadcastJoinThreshold="-1",
+    adaptive__skewJoin__skewedPartitionThresholdInBytes="64k",
+    adaptive__skewJoin__skewedPartitionFactor="2",
+    adaptive__advisoryPartitionSizeInBytes="32k",
+)
+
+
+@pytest.mark.parametrize(
+    ("hash_limit", "join"), [("0", "SortMergeJoin"), ("64m", "ShuffledHashJoin")]
+)
+def test_hot_order_is_split(spark, conf, capsys, tmp_path, hash_limit, join):
     hot_tables(spark, tmp_path)
-    conf(
-        adaptive__enabled=adaptive,
-        autoBroadcastJoinThreshold="-1",
-        adaptive__skewJoin__skewedPartitionThresholdInBytes="64k",
-        adaptive__skewJoin__skewedPartitionFactor="2",
-        adaptive__advisoryPartitionSizeInBytes="32k",
-    )
+    conf(**HOT, adaptive__maxShuffledHashJoinLocalMapThreshold=hash_limit)
     df = from_tables(spark, str(tmp_path))
     assert result(df) == hot_expected()
-    text = plan(df, capsys)
-    if adaptive == "true":
-        assert "SortMergeJoin(skew=true)" in text
-    else:
-        assert re.search(r"Keys \[1\]: \[l_orderkey#\d+L?\]\nFunctions \[2\]: \[partial_sum", text)
+    assert f"{join}(skew=true)" in plan(df, capsys)
+
+
+@pytest.mark.parametrize("off", ["adaptive__enabled", "adaptive__skewJoin__enabled"])
+def test_hot_order_is_totalled_where_nothing_splits_it(spark, conf, capsys, tmp_path, off):
+    hot_tables(spark, tmp_path)
+    conf(**HOT, **{off: "false"})
+    df = from_tables(spark, str(tmp_path))
+    assert result(df) == hot_expected()
+    assert re.search(
+        r"Keys \[1\]: \[l_orderkey#\d+L?\]\nFunctions \[2\]: \[partial_sum",
+        plan(df, capsys),
+    )
 
 
 def test_scans_are_pruned_and_filtered(spark, capsys):
