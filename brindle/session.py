@@ -13,6 +13,7 @@ def local_session(cpus: int) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         # join by hash where every partition is known to be this small, else by sorting
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -136,6 +136,19 @@ def test_either_plan_under_any_partitioning(spark, conf, split):
         assert result(revenue_by_nation(*moved)) == expected
 
 
+@pytest.mark.parametrize("date_type", ["date", "timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("money_type", ["decimal(15,2)", "double"])
+def test_column_types(spark, date_type, money_type):
+    root = "/root/testdata/sf0.001"
+    lineitem, orders, customer, nation = (read_table(spark, root, t) for t in TABLES)
+    lineitem = lineitem.withColumns(
+        {c: lineitem[c].cast(money_type) for c in ("l_extendedprice", "l_discount")}
+    )
+    orders = orders.withColumn("o_orderdate", orders.o_orderdate.cast(date_type))
+    got = revenue_by_nation(lineitem, orders, customer, nation)
+    assert result(got) == result(from_tables(spark, root))
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
 def test_session_zone_does_not_matter(spark, conf, zone):
     root = "/root/testdata/sf0.001"
