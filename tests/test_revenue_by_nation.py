@@ -96,9 +96,12 @@ def test_other_period(spark, sf_dir):
 def test_nulls_and_orphans(spark):
     expected = check(
         spark,
-        [(1, 10.0, 0.1), (1, None, 0.1), (2, None, 0.0), (None, 5.0, 0.0), (9, 7.0, 0.0)],
-        [(1, 1, IN_PERIOD), (2, 2, IN_PERIOD), (None, 1, IN_PERIOD), (3, 3, IN_PERIOD)],
-        [(1, 1), (2, 2), (None, 1), (3, None), (4, 1)],
+        [(1, 10.0, 0.1), (1, None, 0.1), (2, None, 0.0), (None, 5.0, 0.0)]
+        + [(k, 7.0, 0.0) for k in (3, 4, 5, 9)],
+        [(k, k, IN_PERIOD) for k in (1, 2, 3, 4, 5)]
+        + [(None, 1, IN_PERIOD), (3, None, IN_PERIOD)],
+        # 3 has no nation, 4 one that is not listed; 5 is not a customer; 6 has no order
+        [(1, 1), (2, 2), (None, 1), (3, None), (4, 9), (6, 1)],
         [(1, "A"), (2, "B"), (None, "C"), (3, "D")],
     )
     assert expected == {"A": (Decimal("9"), 2), "B": (None, 1)}
@@ -157,7 +160,7 @@ def test_session_zone_does_not_matter(spark, conf, zone):
     assert result(from_tables(spark, root)) == expected
 
 
-key = st.one_of(st.none(), st.integers(0, 3))
+key = st.sampled_from([0, 1, 2, 0, 1, 2, None])
 cents = st.one_of(st.none(), st.integers(0, 99_999).map(lambda c: c / 100))
 percent = st.one_of(st.none(), st.integers(0, 10).map(lambda p: p / 100))
 date = st.one_of(
@@ -172,10 +175,10 @@ date = st.one_of(
     suppress_health_check=[HealthCheck.function_scoped_fixture],
 )
 @given(
-    lineitem=st.lists(st.tuples(key, cents, percent), max_size=12),
-    orders=st.lists(st.tuples(key, key, date), max_size=8),
-    customer=st.lists(st.tuples(key, key), max_size=6),
-    nation=st.lists(st.tuples(key, st.sampled_from("AB")), max_size=4),
+    lineitem=st.lists(st.tuples(key, cents, percent), min_size=6, max_size=12),
+    orders=st.lists(st.tuples(key, key, date), min_size=4, max_size=8),
+    customer=st.lists(st.tuples(key, key), min_size=3, max_size=6),
+    nation=st.lists(st.tuples(key, st.sampled_from("AB")), min_size=2, max_size=4),
     split=st.sampled_from(["true", "false"]),
 )
 def test_matches_brute_force(spark, conf, lineitem, orders, customer, nation, split):
