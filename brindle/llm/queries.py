@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import simhash
+from brindle.llm import simhash, suffix_dedup
+from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        F.octet_length(text_of()).cast("bigint").alias("n_bytes"),
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2(suffix_dedup.kept_bytes(text_of(), F.col("spans")), 256).alias("kept_sha256"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_suffix_array": op7_suffix_array,
     "op10_simhash": op10_simhash,
 }
 
