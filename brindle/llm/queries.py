@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import simhash, suffix_dedup
+from brindle.llm import quality, simhash, suffix_dedup
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
 
+def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
@@ -26,6 +30,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compression_classifier": op1_compression_classifier,
     "op7_suffix_array": op7_suffix_array,
     "op10_simhash": op10_simhash,
 }
