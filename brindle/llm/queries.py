@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import quality, simhash, suffix_dedup
+from brindle.llm import packing, quality, simhash, suffix_dedup
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
@@ -14,6 +15,10 @@ def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
@@ -31,6 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
+    "op5_order_preserving_packing": op5_order_preserving_packing,
     "op7_suffix_array": op7_suffix_array,
     "op10_simhash": op10_simhash,
 }
