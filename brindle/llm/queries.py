@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import packing, quality, simhash, suffix_dedup
+from brindle.llm import packing, quality, secrets, simhash, suffix_dedup
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
@@ -15,6 +15,22 @@ def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    known = F.filter("secrets", lambda s: s["name"] != secrets.RANDOM)
+    names = F.transform("secrets", lambda s: s["name"])
+    counts = [
+        (F.size(names) - F.size(F.array_remove(names, kind[0]))).cast("bigint").alias(f"n_{kind[0]}")
+        for kind in secrets.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.listed(known), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
+    "op4_randomness_battery": op4_randomness_battery,
     "op5_order_preserving_packing": op5_order_preserving_packing,
     "op7_suffix_array": op7_suffix_array,
     "op10_simhash": op10_simhash,
