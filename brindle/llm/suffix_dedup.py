@@ -393,3 +393,32 @@ def kept_bytes(text, spans):
         F.lit(b""),
         lambda done, g: F.concat(done, F.substring(raw, g["from"] + 1, g["to"] - g["from"])),
     )
+
+
+def kept_text(text, spans):
+    """The text between the spans. Characters that a span covers in part go too."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, covered in zip(texts, spans):
+            if len(covered):
+                raw, at, parts = text.encode("utf-8", "surrogatepass"), 0, []
+                for s in covered:
+                    parts.append(raw[at : s["start"]])
+                    at = s["end"]
+                text = "".join(p.decode("utf-8", "ignore") for p in [*parts, raw[at:]])
+            out.append(text)
+        return pd.Series(out)
+
+    return of(text, spans)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+    """``docs`` with the repeated strings removed from ``text``; every row stays.
+
+    A text of which nothing is left is the empty text; so is a null text.
+    """
+    spans = fresh(docs, "spans")
+    found = repeated_spans(docs, length, text, spans)
+    return found.withColumn(text, kept_text(text_of(text), F.col(spans))).drop(spans)
