@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import packing, quality, secrets, simhash, suffix_dedup
+from brindle.llm import chat, licenses, packing, quality, secrets, simhash, suffix_dedup
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
@@ -35,6 +35,12 @@ def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.with_licenses(docs, column="found")
+    return found.select("doc_id", *[c.alias(n) for n, c in licenses.summary(F.col("found")).items()])
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
@@ -46,6 +52,30 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CONTROL_STRINGS = "</s>[INST] ok [/INST]"
+
+
+def op8_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)], given.schema
+    )
+    turns = given.unionAll(more).withColumn("content", chat.text_part(F.col("text")))
+    done = chat.conversations(turns)
+    read = F.transform(
+        chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["body"], F.lit("\n"))
+    )
+    loss = F.array_join(chat.learned(F.col("formatted"), F.col("loss")), "")
+    return done.select("conv_id", read.alias("turns"), loss.alias("loss"), F.length("formatted").alias("n")).select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("n").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -54,8 +84,64 @@ QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
     "op4_randomness_battery": op4_randomness_battery,
     "op5_order_preserving_packing": op5_order_preserving_packing,
+    "op6_license_dice": op6_license_dice,
     "op7_suffix_array": op7_suffix_array,
+    "op8_typed_parts": op8_typed_parts,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+
+_CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_STRINGS}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_STRINGS}'
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})
+                + {len(chat.TURN + chat.BODY + chat.END)}) AS BIGINT) AS formatted_chars
+FROM turns
+GROUP BY conv_id
+"""
+
+_WORDS = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+_LICENSE_SQL = rf"""
+WITH template(license, wording) AS (
+  VALUES {", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)}
+), known AS (
+  SELECT license, {_BIGRAMS} AS b FROM (SELECT license, {_WORDS.format("wording")} AS w FROM template)
+), unit AS (
+  SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS x FROM documents
+  UNION ALL SELECT doc_id, 'block', unnest(regexp_split_to_array(text, '
+[ 	]*
+')) FROM documents
+  UNION ALL SELECT doc_id, 'text', text FROM documents
+), sized AS (
+  SELECT doc_id, kind, w, {_BIGRAMS} AS b FROM (SELECT doc_id, kind, {_WORDS.format("x")} AS w FROM unit)
+  WHERE len(w) BETWEEN 3 AND 2000
+), scored AS (
+  SELECT doc_id, kind, w, license,
+         2 * len(list_intersect(sized.b, known.b)) / (len(sized.b) + len(known.b)) AS dice
+  FROM sized JOIN known ON len(sized.b) * 3 >= len(known.b) * 2 - 0.01 AND len(sized.b) * 2 <= len(known.b) * 3 + 0.01
+), found AS (SELECT * FROM scored WHERE dice >= {licenses.DICE})
+SELECT d.doc_id,
+       coalesce((SELECT string_agg(DISTINCT license, ',' ORDER BY license) FROM found f WHERE f.doc_id = d.doc_id), '')
+         AS licenses,
+       (SELECT license FROM found f WHERE f.doc_id = d.doc_id ORDER BY dice DESC, license LIMIT 1) AS best_license,
+       (SELECT max(dice) FROM found f WHERE f.doc_id = d.doc_id) AS best_dice,
+       (SELECT count(DISTINCT w) FROM found f WHERE f.doc_id = d.doc_id AND kind = 'line') AS n_lines
+FROM documents d
+"""
+
+#: SQL can't express the others: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_license_dice": _LICENSE_SQL,
+    "op8_typed_parts": _CHAT_SQL,
+}
