@@ -17,9 +17,7 @@ powers of two are looked up besides. The last sequence of a block stays open and
 begins the next block. The last of a partition is split into powers of two where
 that costs less than its padding.
 
-Tokens are those of ``tokenizers`` for the whole text. White space separates
-tokens whatever stands around it, so each batch is split at spaces and line ends
-and every different part is encoded once.
+Tokens are those of ``tokenizers`` for the whole text, see ``Encoder``.
 """
 
 from __future__ import annotations
@@ -47,48 +45,103 @@ BLOCK, STEP = 64 * 4096, 128
 #: Bytes of text that are tokenized at a time.
 _TEXT = 4 << 20
 _GROUP = 4096
+_KNOWN = 400_000
+_SENTENCE = r"[.!?…][\"'»”’)\]]*$"
+#: A letter or digit and the signs, but for apostrophes, that end a part.
+_SIGNS = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+)$"
 
 
 class Encoder:
-    """Token ids of many texts, and where sentences end in them."""
+    """Token ids of many texts, and where sentences end in them.
+
+    White space ends every token, and so does a change from a letter or digit to a
+    sign other than an apostrophe. So a text is taken apart at both, and each
+    different part is encoded once; the ids of up to ``_KNOWN`` parts are remembered.
+    ASCII capitals count as small letters, as the tokenizer has it. Parts that might
+    hold a special token are left whole.
+    """
 
     def __init__(self, tokenizer: str, mark: str = "<|endoftext|>"):
         self._of = Tokenizer.from_str(tokenizer)
         self._mark, self._mark_id = mark, self._of.token_to_id(mark)
+        self._forget()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._of.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    def _forget(self):
+        self._known = pa.array([], pa.string())
+        self._ids, self._counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all parts in a row, and how many each has."""
+    def _encoded(self, text: str):
+        return self._of.encode(text, add_special_tokens=False)
+
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and counts of parts that are letters only: each is a word for the tokenizer."""
+        ids, counts = [], []
+        for k in range(0, len(words), _GROUP):
+            group = words[k : k + _GROUP]
+            found = self._encoded(" ".join(group))
+            many = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(group))
+            if len(many) == len(group) and many.all():
+                ids.append(np.array(found.ids, dtype=np.uint32))
+                counts.append(many)
+            else:
+                more = self._others(group)
+                ids += more[0]
+                counts += more[1]
+        return ids, counts
+
+    def _others(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and counts of any parts."""
         ids, counts = [], []
         for k in range(0, len(parts), _GROUP):
             group = parts[k : k + _GROUP]
             # the mark stands between parts as a token of its own
-            found = self._ids(self._mark.join(group))
+            found = np.array(self._encoded(self._mark.join(group)).ids, dtype=np.uint32)
             marks = np.flatnonzero(found == self._mark_id)
             if len(marks) == len(group) - 1:
                 ids.append(np.delete(found, marks))
                 counts.append(np.diff(np.concatenate(([-1], marks, [len(found)]))) - 1)
             else:
                 # a part holds the mark itself
-                single = [self._ids(p) for p in group]
+                single = [np.array(self._encoded(p).ids, dtype=np.uint32) for p in group]
                 ids += single
                 counts.append(np.array([len(x) for x in single]))
-        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([*counts, np.zeros(0, int)]).astype(int)
+        return ids, counts
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where each of the different ``parts`` is among those known, once it is."""
+        if len(self._known) > _KNOWN:
+            self._forget()
+        missing = parts.filter(pc.is_null(pc.index_in(parts, value_set=self._known)))
+        if len(missing):
+            letters = pc.match_substring_regex(missing, r"^\pL+$")
+            words, others = missing.filter(letters), missing.filter(pc.invert(letters))
+            found = [self._words(words.to_pylist()), self._others(others.to_pylist())]
+            self._known = pa.concat_arrays([self._known, words, others])
+            self._ids = np.concatenate([self._ids, *found[0][0], *found[1][0]])
+            self._counts = np.concatenate([self._counts, *found[0][1], *found[1][1]]).astype(np.int64)
+        return pc.index_in(parts, value_set=self._known).to_numpy()
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, without the last one, and the counts of ids at sentence ends."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         codes = lists.flatten().dictionary_encode()
         parts = codes.dictionary
-        ids, counts = self._parts(parts.to_pylist())
-        first = np.cumsum(counts) - counts
-        ends = pc.match_substring_regex(parts, r"[.!?…][\"'»”’)\]]*$").to_numpy(zero_copy_only=False)
+        ends = pc.match_substring_regex(parts, _SENTENCE).to_numpy(zero_copy_only=False)
+        special = pc.match_substring(parts, "<|")
+        small = pc.if_else(pc.and_not(pc.string_is_ascii(parts), special), pc.ascii_lower(parts), parts)
+        signed = pc.and_not(pc.match_substring_regex(small, _SIGNS), special)
+        stem = pc.if_else(signed, pc.replace_substring_regex(small, _SIGNS, r"\1"), small)
+        tail = pc.if_else(signed, pc.replace_substring_regex(small, r"(?s)^.*" + _SIGNS, r"\2"), "")
+        both = pa.concat_arrays([stem, tail]).dictionary_encode()
+        place = self._places(both.dictionary)[both.indices.to_numpy()].reshape(2, -1)
+        first = np.cumsum(self._counts) - self._counts
+
         code = codes.indices.to_numpy()
-        many = counts[code]
+        pieces = place[:, code].T.ravel()
+        many = self._counts[pieces]
         upto = np.concatenate(([0], np.cumsum(many)))
-        flat = ids[np.repeat(first[code] - upto[:-1], many) + np.arange(upto[-1])]
+        flat = self._ids[np.repeat(first[pieces] - upto[:-1], many) + np.arange(upto[-1])]
+        upto = upto[::2]
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out = []
         for a, b in zip(offsets[:-1], offsets[1:]):

@@ -59,9 +59,12 @@ def test_encoder_equals_the_tokenizer():
         "<|endoftext|>", "x" * 5000, "a  b\r\nc\x1fd\x00e", "日本語のテキスト。次", "ʼn İ ﬁ", "no.end! (yes?) \"so.\" 3.5",
     ]
     tok = Tokenizer.from_file(PATH)
+    marks = ["H\u0331o", "it's.'s,'S", "<|ENDOFTEXT|>", "<|endoftext|>.", "x<|endoftext|", "Don't!!!", "a1.b2?c3", "'", "K2\u212a."]
+    texts += ["".join(random.Random(i).choices([*marks, " ", "\n", "Word", "é", "...", "ſ"], k=40)) for i in range(50)]
     encoder = packing.Encoder(open(PATH, encoding="utf-8").read())
     found = encoder.encode(pa.array(texts))
     assert [ids.tolist() for ids, _ in found] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids, _ in encoder.encode(pa.array(texts))] == [ids.tolist() for ids, _ in found]
     assert all((np.diff(stops, prepend=0) >= 0).all() for _, stops in found)
     assert encoder.encode(pa.array(["one two. three"]))[0][1].tolist() == [3]
 
