@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, licenses, packing, quality, secrets, simhash, suffix_dedup, topk
+from brindle.llm import chat, edit_embedding, licenses, packing, quality, secrets, simhash, suffix_dedup, topk
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
@@ -80,6 +80,10 @@ def op8_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.compared_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op6_license_dice": op6_license_dice,
     "op7_suffix_array": op7_suffix_array,
     "op8_typed_parts": op8_typed_parts,
+    "op9_edit_embedding": op9_edit_embedding,
     "op10_simhash": op10_simhash,
 }
 
