@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, edit_embedding, licenses, packing, quality, secrets, simhash, suffix_dedup, topk
+from brindle.llm import chat, edit_embedding, lattice, licenses, packing, quality, secrets, simhash, suffix_dedup, topk
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
@@ -19,6 +19,12 @@ def op2_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_relational_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lattice.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    done = lattice.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "decodes")
+
+
 def op4_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     known = F.filter("secrets", lambda s: s["name"] != secrets.RANDOM)
@@ -91,6 +97,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
     "op2_ball_tree": op2_ball_tree,
+    "op3_relational_lattice": op3_relational_lattice,
     "op4_randomness_battery": op4_randomness_battery,
     "op5_order_preserving_packing": op5_order_preserving_packing,
     "op6_license_dice": op6_license_dice,
