@@ -255,8 +255,10 @@ def encoded(docs: DataFrame, pieces, kind: str = "bpe", id: str = "doc_id", text
     cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = fresh(docs, "row")
     whole = text_of(text)
-    # documents with long words, of which there are few, take these from a function
-    some = F.when(F.regexp_like(whole, F.lit(f"[^ {SPACE}\n]{{{LONG}}}")) if kind == "bpe" else F.lit(False), whole)
+    # a long word has a long run of spaces or of others: such documents, which are few, go through a function
+    run = LONG // 2
+    may = F.regexp_like(whole, F.lit(f"[ {SPACE}]{{{run}}}|[^ {SPACE}\\n]{{{run}}}")) if kind == "bpe" else F.lit(False)
+    some = F.when(may, whole)
     placed = docs.withColumn(row, F.monotonically_increasing_id()).select(
         F.coalesce(F.pmod(F.xxhash64(row), F.lit(cells)).cast("int"), F.lit(0)).alias("cell"), F.col(row).alias("row"),
         F.col(id).alias("id"), whole.alias("text"), _heap(pieces)(some).alias("long"),
