@@ -4,13 +4,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MEASURES = ("revenue", "n", "beyond")
+
+
 def total_by(df: DataFrame, key: str) -> DataFrame:
-    """Add up ``revenue`` and ``n`` per ``key``.
+    """Add up the ``MEASURES`` per ``key``.
 
     Totalling to the next join key before that join leaves at most one row per
-    key and map task to shuffle, however many rows the hottest key has. Both
+    key and map task to shuffle, however many rows the hottest key has. All
     measures are plain sums, so totals of totals equal the total of the rows.
     """
-    return df.groupBy(key).agg(
-        F.sum("revenue").alias("revenue"), F.sum("n").alias("n")
-    )
+    return df.groupBy(key).agg(*[F.sum(m).alias(m) for m in MEASURES])

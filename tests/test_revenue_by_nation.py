@@ -140,7 +140,7 @@ def test_either_plan_under_any_partitioning(spark, conf, split):
 
 
 @pytest.mark.parametrize("date_type", ["date", "timestamp", "timestamp_ntz"])
-@pytest.mark.parametrize("money_type", ["decimal(15,2)", "double"])
+@pytest.mark.parametrize("money_type", ["decimal(15,2)", "decimal(18,4)", "double"])
 def test_column_types(spark, date_type, money_type):
     root = "/root/testdata/sf0.001"
     lineitem, orders, customer, nation = (read_table(spark, root, t) for t in TABLES)
@@ -152,6 +152,52 @@ def test_column_types(spark, date_type, money_type):
     assert result(got) == result(from_tables(spark, root))
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    ("money_type", "price", "want"),
+    [
+        ("int", 30_000_000, "28500000.0000"),
+        ("bigint", 30_000_000, "28500000.0000"),
+        ("float", 98765432.0, "93827160.4000"),
+        ("decimal(18,4)", Decimal("98765432.0049"), "93827160.4000"),
+    ],
+)
+def test_large_prices_of_any_type(spark, conf, ansi, money_type, price, want):
+    conf(ansi__enabled=ansi)
+    lines = spark.createDataFrame(
+        [(1, price, 0.05)], f"l_orderkey long, l_extendedprice {money_type}, l_discount double"
+    )
+    rest = frames(spark, [], [(1, 1, IN_PERIOD)], [(1, 1)], [(1, "A")])[1:]
+    assert result(revenue_by_nation(lines, *rest)) == {"A": (Decimal(want), 1)}
+
+
+@pytest.mark.parametrize("split", ["true", "false"])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("case", ["outside the period", "no order", "no customer", "in the answer"])
+def test_amounts_out_of_range(spark, conf, case, ansi, split):
+    conf(ansi__enabled=ansi, adaptive__skewJoin__enabled=split)
+    order = {
+        "outside the period": [(2, 1, dt.datetime(1999, 1, 1))],
+        "no order": [],
+        "no customer": [(2, 9, IN_PERIOD)],
+        "in the answer": [(2, 1, IN_PERIOD)],
+    }[case]
+    df = revenue_by_nation(
+        *frames(
+            spark,
+            [(1, 10.0, 0.1), (2, 1e14, 0.0)],
+            [(1, 1, IN_PERIOD), *order],
+            [(1, 1)],
+            [(1, "A")],
+        )
+    )
+    if case == "in the answer" and ansi == "true":
+        with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+            df.collect()
+    else:
+        assert result(df) == {"A": (Decimal(9), 2 if case == "in the answer" else 1)}
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
 def test_session_zone_does_not_matter(spark, conf, zone):
     root = "/root/testdata/sf0.001"
@@ -248,7 +294,7 @@ def test_hot_order_is_totalled_where_nothing_splits_it(spark, conf, capsys, tmp_
     df = from_tables(spark, str(tmp_path))
     assert result(df) == hot_expected()
     assert re.search(
-        r"Keys \[1\]: \[l_orderkey#\d+L?\]\nFunctions \[2\]: \[partial_sum",
+        r"Keys \[1\]: \[l_orderkey#\d+L?\]\nFunctions \[3\]: \[partial_sum",
         plan(df, capsys),
     )
 
