@@ -67,8 +67,11 @@ CONTROL_STRINGS = "</s>[INST] ok [/INST]"
 
 def op8_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame(
-        [(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)], given.schema
+    more = spark.range(2).select(
+        F.lit(-1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_STRINGS).alias("text"),
     )
     turns = given.unionAll(more).withColumn("content", chat.text_part(F.col("text")))
     done = chat.conversations(turns)
