@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import text_of
+from brindle.llm.common import fresh, text_of
 
 # Kind, pattern, the group that is measured, its least length.
 KINDS = (
@@ -235,7 +235,7 @@ def with_secrets(
     they are; ``column`` must be new.
     """
     limits = thresholds(docs, text, rate)
-    base, runs = f"{column}__base", f"{column}__runs"
+    base, runs = fresh(docs, "base"), fresh(docs, "runs")
     names = F.array(*[F.lit(k[0]) for k in KINDS], F.lit(RANDOM))
 
     def accepted(run: Column) -> Column:

@@ -62,3 +62,20 @@ def test_run_gives_the_last_stage(spark):
     df = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert df.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert df.count()
+
+
+def test_odd_rows_pass_every_stage(spark):
+    long = "A very long text of plain words. " * 20
+    rows = [
+        (1, None, None, None, None), (None, "no id", "en", "s", 5), (2, "", "en", "s", 0), (3, long, "en", "s", 9),
+        (3, long, "en", "s", 9), (4, "token = abcdefghijklmnop " + long[:300], "en", "s", 9), (5, "x" * 9000, "en", "s", 9),
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema)
+    for given in (docs, docs.limit(0), docs.withColumns({c: docs.n_chars for c in ("row", "spans", "__Secrets", "fp", "label")})):
+        now = written(given)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = written(stage(spark, now, "/root/testdata/sf0.001"))
+            assert now.columns == given.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in now.collect()}

@@ -43,7 +43,7 @@ ODD = [
 
 def test_known_forms_equal_brute_force(spark):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(None, ODD[3], "x"), (3, ODD[3], "x")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, start string")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __BASE string")
     found = secrets.with_secrets(df)
     assert found.columns == [*df.columns, "secrets"]
     for row in found.collect():
