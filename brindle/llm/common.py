@@ -50,6 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, whatever key it was grouped by.
+
+    A join with grouped rows would use their partitioning, and adaptive execution can
+    split a hot key of the other side only where both sides have a shuffle of their own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet files in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, checkpointed, fresh, slices, text_of
+from brindle.llm.common import bounded_batches, checkpointed, dealt, fresh, slices, text_of
 
 LENGTH = 200
 #: Classes of one anchor that are compared in one shard.
@@ -342,10 +342,10 @@ def repeated_spans(
         _anchor_rows(length), "h bigint, s bigint, row bigint, at bigint"
     )
     twice = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = checkpointed(runs.join(twice, "h"))
+    kept = checkpointed(runs.join(dealt(twice), "h"))
 
     classes = kept.groupBy("h", "s").agg(F.count("*").alias("m"), F.min(F.struct("row", "at")).alias("first"))
-    classes = checkpointed(classes.join(classes.groupBy("h").agg(F.count("*").alias("k")), "h"))
+    classes = checkpointed(classes.join(dealt(classes.groupBy("h").agg(F.count("*").alias("k"))), "h"))
     alone = classes.where("k = 1").select(
         "h", "s",
         F.expr(f"array(named_struct('start', 0, 'end', cast(first.at & {0xFFFF} as int)))").cast(_RANGES).alias("ranges"),
