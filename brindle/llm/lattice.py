@@ -37,8 +37,8 @@ from brindle.llm.common import bounded_batches, fresh, text_of
 
 SPACE = "▁"
 LONG = 60
-#: Cells of documents per shuffle partition of the session.
-CELLS = 4
+#: Bytes of text in a cell, on average: its edges are sorted in memory.
+CELL = 2 << 20
 _EDGE = "struct<rank:double,start:int,end:int,id:int,raw:string>"
 
 
@@ -92,7 +92,8 @@ aggregate(
   s -> s.m
 )
 """
-_STARTS = "filter(sequence(0, n - 1), i -> (shiftright(m, i) & 1) = 1)"
+# m is bound first: the optimizer may put its whole fold where it is named, here once per i.
+_STARTS = "transform(array(m), m -> filter(sequence(0, n - 1), i -> (shiftright(m, i) & 1) = 1))[0]"
 #: best: for each border the score, the edge's start and its border's predecessor come as one row.
 _VITERBI = """
 aggregate(
@@ -252,7 +253,8 @@ def encoded(docs: DataFrame, pieces, kind: str = "bpe", id: str = "doc_id", text
     spark = docs.sparkSession
     bounded_batches(spark)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_of(text)).cast("bigint"))).first()[0] or 0
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // CELL)
     row = fresh(docs, "row")
     whole = text_of(text)
     # a long word has a long run of spaces or of others: such documents, which are few, go through a function
