@@ -148,14 +148,6 @@ class BallTree:
                 kth[row] = max(kth[row], _below(-best[row][-1][0]))
 
 
-def _matrix(lists, width: int) -> np.ndarray:
-    """Vectors as rows of doubles, the shorter filled up with zeros."""
-    out = np.zeros((len(lists), width))
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
-    return out
-
-
 def _searched(k: int):
     """Of rows sorted by shard, candidates before blocks: the results of every block there."""
 

@@ -76,3 +76,14 @@ def test_branches_are_cut_off():
     order = np.lexsort((np.arange(8000), -scores))[:5]
     assert [(-s, i) for s, i in best[0]] == [(scores[i], i) for i in order]
     assert sum(seen) < 2000
+
+
+def test_scores_beyond_53_bits(spark):
+    # sums near 2^60 that differ by less than a double tells apart
+    rows = [(0, [2.0**22, 1 / 256], 0)] + [(i, [2.0**22, (i * 7 % 11) / 256], 0) for i in range(1, 12)]
+    assert found(spark.createDataFrame(rows, SCHEMA), 6) == slow(rows, 6)
+
+
+def test_matrix_keeps_64_bits():
+    whole = 2**53 + 1
+    assert topk._matrix([[whole]], 1).tolist() == [[whole]]
