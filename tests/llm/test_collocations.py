@@ -1,0 +1,143 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from brindle.llm import collocations as co
+from brindle.llm.queries import ORACLE_SQL, op13_rabin_karp
+from tests.llm.sql import same_as_sql
+
+
+def slow_pieces(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [re.findall("[^\x20\x09]+", x) for x in re.split("[.,;:!?\x0A-\x0D]", low)]
+
+
+def slow_runs(text, k):
+    return [tuple(w[i : i + k]) for w in slow_pieces(text) for i in range(len(w) - k + 1)]
+
+
+def slow_collocations(rows, least=30, longest=4, share=80, top=2000):
+    """rows: (lang, text). Rows of lang, rank, phrase, a, l, r, n, score."""
+    n, f = Counter(), defaultdict(Counter)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        n[lang] += len(slow_runs(text, 1))
+        for k in range(1, longest + 1):
+            f[lang].update(slow_runs(text, k))
+    out = []
+    for lang, c in f.items():
+        candidates = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        inside = {
+            q[i : i + m]
+            for q, b in candidates.items() for m in range(2, len(q)) for i in range(len(q) - m + 1)
+            if 100 * b >= share * c[q[i : i + m]]
+        }
+        kept = []
+        for p, a in candidates.items():
+            score, k = min((2000000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+            if p not in inside:
+                kept.append((" ".join(p), a, c[p[:k]], c[p[k:]], score))
+        kept.sort(key=lambda x: (-x[4], -x[1], x[0].encode("utf-8", "surrogatepass")))
+        out += [(lang, i, p, a, l, r, n[lang], s) for i, (p, a, l, r, s) in enumerate(kept[:top], 1)]  # noqa: E741
+    return sorted(out)
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_sql(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    assert same_as_sql(op13_rabin_karp(spark, sf), ORACLE_SQL["op13_rabin_karp"], sf)
+
+
+ODD = [
+    "", " ", "...", "One  two\tTHREE", "a b.c d", "\u00c9t\u00e9 \u00e9t\u00c9 x", "a\x00b c\x1fd", "end", "start of", "x" * 5000 + " y z",
+    "a\r\nb c\x0bd\x0ce f", "\u3000 wide \U0001f600 face", "a , b", "tab\t\tbed",
+]
+
+
+def test_words_and_fingerprints_of_batches():
+    texts = pa.array(ODD * 2)
+    seen = {}
+    for column in (texts, texts.slice(3, 9), texts.slice(2, 0), pa.array(["", ""])):
+        words = co.Words(column, 4)
+        for n in range(1, 5):
+            at = np.flatnonzero(words.ahead >= n - 1)
+            got = [
+                (int(words.text[i]), words.data[words.starts[i] : words.ends[i + n - 1]].tobytes().decode()) for i in at.tolist()
+            ]
+            assert got == [(i, " ".join(r)) for i, x in enumerate(column.to_pylist()) for r in slow_runs(x, n)]
+            for (_, phrase), fp in zip(got, words.fingerprints(n, at).tolist()):
+                assert seen.setdefault(phrase, fp) == fp
+        for i, at in zip(words.text.tolist(), words.at.tolist()):
+            assert column[i].as_py().encode()[:at].decode() is not None
+    assert len(set(seen.values())) == len(seen)
+
+
+def phrases(rng, vocabulary, n):
+    return " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".", "\n"]) for _ in range(n))
+
+
+def rows_of(seed, n=120):
+    rng = random.Random(seed)
+    fixed = ["new york city", "of the united states", "New York", "to be or not", "be or"]
+    vocabulary = fixed + ["w%d" % i for i in range(40)] + ["\u00fcber", "UND"]
+    rows = [(rng.choice(["en", "de", None, "und", ""]), phrases(rng, vocabulary, rng.choice([0, 3, 40]))) for _ in range(n)]
+    return rows + [(None, None), ("en", None), ("fr", "")] + [("en", x) for x in ODD] + [rows[5]] * 40
+
+
+@pytest.mark.parametrize(("least", "longest", "share", "top"), [(5, 4, 80, 2000), (3, 3, 50, 7), (8, 2, 80, 2000), (4, 6, 95, 50)])
+def test_odd_rows_equal_brute_force(spark, least, longest, share, top):
+    rows = rows_of(least)
+    df = spark.createDataFrame([(i, *r, 1, "x") for i, r in enumerate(rows)], "doc_id bigint, lang string, text string, n int, w string")
+    got = co.collocations(df, least, longest, share, top)
+    want = slow_collocations(rows, least, longest, share, top)
+    assert want and found(got) == want
+    texts = {i: t for i, (_, t) in enumerate(rows)}
+    for r in got.collect():
+        after = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]).encode()[r["at"] :].decode()
+        assert " ".join(re.findall("[^ \t]+", after)).startswith(r.phrase)
+    assert co.collocations(df.limit(0)).count() == 0 and co.collocations(df, least=10**6).count() == 0
+
+
+def test_colliding_fingerprints_come_apart(spark, monkeypatch):
+    rows = rows_of(2)
+    texts = pa.array([t or "" for _, t in rows])
+    words = co.Words(texts, 3)
+    for n in (1, 2, 3):
+        at = np.flatnonzero(words.ahead >= n - 1)
+        # all runs share three fingerprints
+        parts = co._cut_out(words, at, n, (words.fingerprints(n, at) % np.uint64(3)).astype(np.uint64))
+        got = Counter()
+        for found_texts, counts, heads in parts:
+            for t, c, h in zip(found_texts.to_pylist(), counts.tolist(), heads.tolist()):
+                got[t.decode()] += c
+                assert words.data[words.starts[h] : words.ends[h + n - 1]].tobytes() == t
+        assert got == Counter(" ".join(r) for x in texts.to_pylist() for r in slow_runs(x, n))
+
+
+def test_a_full_table_changes_nothing(spark, monkeypatch):
+    full = lambda frequent, most=0: np.full(8, 255, dtype=np.uint8)
+    rows = rows_of(9, 40)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, text string")
+    monkeypatch.setattr(co, "_table", full)
+    monkeypatch.setattr(co, "_HELD", 50)
+    assert found(co.collocations(df, 4)) == slow_collocations(rows, 4)
+
+
+def test_table_holds_what_it_is_given(spark):
+    keys = [0, -1, 5, 1 << 62, -(1 << 63), 123456789]
+    df = spark.createDataFrame([(k,) for k in keys], "fp bigint")
+    for most in (1 << 27, 1 << 12):
+        table = co._table(df, most)
+        assert co._in_table(table, np.array(keys, dtype=np.int64).view(np.uint64)).all()
+        assert len(table) * 8 <= most and not co._in_table(table, np.array([1 << 60], dtype=np.uint64)).any()
+    assert not co._in_table(co._table(df.limit(0)), np.arange(9, dtype=np.uint64)).any()
