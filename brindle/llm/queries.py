@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, collocations, edit_embedding, importance, lattice, licenses, packing, quality, secrets, simhash, suffix_dedup, topk
+from brindle.llm import (
+    chat, collocations, edit_embedding, importance, lattice, licenses, packing, pattern_packing, quality, secrets, simhash,
+    suffix_dedup, topk,
+)
 from brindle.llm.common import text_of
 from brindle.sources.tables import read_table
 
@@ -97,6 +100,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pattern_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2)
+
+
 def op12_position_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = importance.resampled(docs, read_table(spark, sf_dir, "benchmark").select("text"))
@@ -119,6 +127,7 @@ QUERIES = {
     "op8_typed_parts": op8_typed_parts,
     "op9_edit_embedding": op9_edit_embedding,
     "op10_simhash": op10_simhash,
+    "op11_pattern_packing": op11_pattern_packing,
     "op12_position_crc": op12_position_crc,
     "op13_rabin_karp": op13_rabin_karp,
 }
