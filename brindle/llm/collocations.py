@@ -268,7 +268,7 @@ def _cut_out(words: Words, first: np.ndarray, n: int, found: np.ndarray):
 
 
 def _frequent_texts(docs: DataFrame, tables: dict, longest: int, least: int, id_type: str) -> DataFrame:
-    """``lang``, ``phrase``, ``words``, ``n``, ``pointer`` (id, at) of the runs whose fingerprints the tables hold.
+    """``lang``, ``phrase``, ``words``, ``n``, ``id``, ``at`` of the runs whose fingerprints the tables hold.
 
     at: bytes of its text before an occurrence. docs: lang, text, id.
     """
@@ -295,7 +295,8 @@ def _frequent_texts(docs: DataFrame, tables: dict, longest: int, least: int, id_
     found = docs.mapInArrow(rows, f"lang string, phrase string, words int, n bigint, id {id_type}, at bigint")
     return (
         found.groupBy("lang", "phrase", "words")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("pointer"))
+        # kept in fixed places of the rows of a hash table, where a struct would be sorted for
+        .agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min_by("at", "id").alias("at"))
         .where(F.col("n") >= least)
     )
 
@@ -331,8 +332,8 @@ def collocations(
 
     ``lang``, ``rank`` from 1, ``phrase`` (its words joined by a space), ``a`` its count, ``l``
     and ``r`` those of the parts at the lowest-scoring cut (of equal ones after the fewest words),
-    ``n`` all words of the language, ``score``, and ``id`` and ``at``, the least row that holds the
-    phrase and the bytes before it there. A null language is ``und``, as is a language of
+    ``n`` all words of the language, ``score``, and ``id`` and ``at``, the least id of a row that
+    holds the phrase and the bytes before it there (null if all ids are). A null language is ``und``, as is a language of
     that name; a null text is empty. Repeated rows each count; no rows, or no frequent phrase: no
     rows. Other columns are not looked at. ``longest`` is 2 or more. The text is read four
     times: ``docs`` should be files or a checkpoint. Lowers the session's Arrow batch limits.
@@ -377,7 +378,7 @@ def collocations(
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = kept.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
-    pointed = best.join(phrases.select("lang", "phrase", "pointer"), ["lang", "phrase"])
+    pointed = best.join(phrases.select("lang", "phrase", "id", "at"), ["lang", "phrase"])
     return pointed.join(totals, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("pointer.id").alias(id), F.col("pointer.at").alias("at")
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("id").alias(id), "at"
     )
