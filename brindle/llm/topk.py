@@ -1,15 +1,19 @@
 """Exact inner-product top-k by branch and bound over ball trees.
 
-Candidates are dealt into shards of about ``SHARD`` vectors, each of which becomes a
-ball tree in one task. Queries travel in blocks of ``QUERIES`` to every shard, so a task
-holds one shard and one block. Nodes are taken in the order of their upper bound, which
-for a query q is <q, centre> + |q| radius; a node is passed over once no query of the
+Candidates are dealt by space: a tree of at most ``LEAVES`` leaves is fitted on a bounded
+sample, and each leaf with more rows than a shard holds is split again by a hash. A leaf's ball
+is the centre of its sample and the distance of its farthest row. Each shard, of at most about
+``SHARD`` vectors and ``SHARD_BYTES`` bytes, becomes a ball tree in one task.
+
+A query travels only to shards whose ball can hold one of its results: for a query q the
+scores there are <q, centre> + |q| radius at most. Within a shard, blocks of ``QUERIES`` take
+the nodes of its tree in the order of that bound; a node is passed over once no query of the
 block can better its current k-th score there, ties counted as better.
 
 The current k-th score is shared in two ways. A block keeps it while it goes through the
-tree, so what the first leaves give bounds all others. Before that, each block has met
-the ``PILOT`` candidates of least hash, and takes the k-th score it found there to every
-shard. It is a bound from real candidates: nothing that belongs to the result is lost.
+tree, so what the first leaves give bounds all others. Before that, each query has met
+the ``PILOT`` candidates of least hash, and takes the k-th score it found there along. It is
+a bound from real candidates: nothing that belongs to the result is lost.
 
 Vectors are integers. Scores are exact: products are taken in floating point where all
 partial sums stay below 2^53, else with Python's integers.
@@ -28,9 +32,11 @@ from pyspark.sql.window import Window
 
 from brindle.llm.common import bounded_batches, checkpointed
 
-SHARD = 32_768
+SHARD, SHARD_BYTES = 8192, 64 << 20
 QUERIES = 512
-PILOT = 1024
+#: Candidates that every query meets first; also the sample that leaves are fitted on.
+PILOT = 2048
+LEAVES = 256
 LEAF = 128
 _LONG = 2**63 - 1
 
@@ -49,11 +55,14 @@ def _below(score: int) -> float:
     return near if int(near) <= score else math.nextafter(near, -math.inf)
 
 
-def _matrix(lists, width: int) -> np.ndarray:
-    """Vectors as rows of 64-bit integers, the shorter filled up with zeros."""
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Vectors, an Arrow array of lists, as rows of 64-bit integers, the shorter filled up with zeros."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten().to_numpy()
+    if (sizes == width).all():
+        return values.reshape(len(lists), width)
     out = np.zeros((len(lists), width), dtype=np.int64)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+    out[np.arange(width) < sizes[:, None]] = values
     return out
 
 
@@ -148,57 +157,135 @@ class BallTree:
                 kth[row] = max(kth[row], _below(-best[row][-1][0]))
 
 
-def _searched(k: int):
-    """Of rows sorted by shard, candidates before blocks: the results of every block there."""
+class Leaves:
+    """A partition of space into at most ``most`` leaves of about as many of the sampled ``points``.
+
+    Leaves are cut off along the component of largest spread; equal points share a leaf.
+    """
+
+    def __init__(self, points: np.ndarray, most: int):
+        self.splits: list[tuple[int, float, int, int]] = []
+        self.centres: list[np.ndarray] = []
+        self.root = self._build(points, most)
+        self.centre = np.array(self.centres)
+
+    def _build(self, points: np.ndarray, most: int) -> int:
+        """The number of a split, or -1 less that of a leaf."""
+        spread = points.max(axis=0) - points.min(axis=0) if points.size else np.zeros(1)
+        if most < 2 or spread.max(initial=0) <= 0:
+            self.centres.append(points.mean(axis=0) if len(points) else np.zeros(points.shape[1]))
+            return -len(self.centres)
+        axis = int(spread.argmax())
+        values = np.sort(points[:, axis])
+        at = values[len(values) * (most // 2) // most]
+        at = at if at > values[0] else values[values > values[0]][0]
+        me = len(self.splits)
+        self.splits.append((axis, at, 0, 0))
+        low = points[:, axis] < at
+        sides = self._build(points[low], most // 2), self._build(points[~low], most - most // 2)
+        self.splits[me] = (axis, at, *sides)
+        return me
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        out = np.zeros(len(points), dtype=np.int64)
+        todo = [(self.root, np.arange(len(points)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0:
+                out[rows] = -node - 1
+                continue
+            axis, at, low, high = self.splits[node]
+            under = points[rows, axis] < at
+            todo += [(low, rows[under]), (high, rows[~under])]
+        return out
+
+
+def _placed(leaves: Leaves, width: int):
+    """Of (id, v, q, hash): the same, the leaf and the distance from its centre."""
 
     def rows(batches):
-        shard, ids, points, tree = None, [], [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "query", "ids", "vectors", "floors")]
-            for now, query, own, vectors, floors in zip(*columns):
-                if now != shard:
-                    shard, ids, points, tree = now, [], [], None
-                if not query:
-                    ids += own
-                    points += vectors
-                    continue
-                width = max(map(len, vectors))
-                if tree is None or tree.points.shape[1] < width:
-                    width = max(max(map(len, points), default=0), width)
-                    tree = BallTree(np.array(ids, dtype=np.int64), _matrix(points, width))
-                asked = _matrix(vectors, tree.points.shape[1])
-                yield _results(own, tree.search(np.array(own, dtype=np.int64), asked, k, np.array(floors)))
+            points = _matrix(batch.column("v"), width).astype(np.float64)
+            leaf = leaves.of(points)
+            far = np.sqrt(((points - leaves.centre[leaf]) ** 2).sum(axis=1))
+            yield pa.record_batch(
+                [*batch.columns, pa.array(leaf), pa.array(far)], names=[*batch.schema.names, "leaf", "far"]
+            )
 
     return rows
 
 
-def _results(own, best):
-    out = [(q, i, -x) for q, found in zip(own, best) for x, i in found]
-    columns = zip(*out) if out else ((), (), ())
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+def _sent(k: int, ids: list[int], points: np.ndarray, leaves: Leaves, radius: np.ndarray, base: np.ndarray, largest: float):
+    """Of (id, v) of queries: a row (shard, query, id, v, floor) for each shard that may hold a result.
 
+    ids, points: the pilot candidates. base: the first shard of each leaf, and the number of shards.
+    """
 
-def _floors(k: int, ids: list[int], points: list[list[int]]):
-    """Of (id, v, part): the same and the k-th score among the candidates given, if there are as many."""
+    def rows(batches):
+        tree = BallTree(np.array(ids, dtype=np.int64), points)
+        width = points.shape[1]
+        for batch in batches:
+            asked = _matrix(batch.column("v"), width)
+            best = tree.search(batch.column("id").to_numpy(), asked, k, np.full(len(asked), -np.inf))
+            floor = np.array([_below(-b[-1][0]) if len(b) == k else -np.inf for b in best])
+            asked = asked.astype(np.float64)
+            norms = np.sqrt((asked**2).sum(axis=1))
+            slack = 1e-9 * (1 + norms * (largest * np.sqrt(width) + 1))
+            upper = asked @ leaves.centre.T + norms[:, None] * radius + slack[:, None]
+            query, leaf = np.nonzero((upper >= floor[:, None]) & (base[1:] > base[:-1]))
+            for a in range(0, len(query), 8192):
+                some, of = query[a : a + 8192], leaf[a : a + 8192]
+                many = base[of + 1] - base[of]
+                some = np.repeat(some, many)
+                shard = np.repeat(base[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                take = pa.array(some)
+                yield pa.record_batch(
+                    [pa.array(shard.astype(np.int32)), pa.array(np.ones(len(some), dtype=bool)),
+                     batch.column("id").take(take), batch.column("v").take(take), pa.array(floor[some])],
+                    names=["shard", "query", "id", "v", "floor"],
+                )
+
+    return rows
+
+
+def _searched(k: int, width: int, block: int):
+    """Of (shard, query, id, v, floor) sorted by shard, candidates before queries: the results of every query there."""
 
     def rows(batches):
-        tree = None
+        shard, ids, points, tree = None, [], [], None
         for batch in batches:
-            own, vectors = batch.column("id").to_pylist(), batch.column("v").to_pylist()
-            width = max(map(len, [*points, *vectors]), default=0)
-            if tree is None or tree.points.shape[1] < width:
-                tree = BallTree(np.array(ids, dtype=np.int64), _matrix(points, width))
-            asked = _matrix(vectors, tree.points.shape[1])
-            best = tree.search(np.array(own, dtype=np.int64), asked, k, np.full(len(own), -np.inf))
-            least = [_below(-b[-1][0]) if len(b) == k else -np.inf for b in best]
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("v"), batch.column("part"), pa.array(least, pa.float64())],
-                names=["id", "v", "part", "floor"],
-            )
+            shards, asking = batch.column("shard").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (asking[1:] != asking[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
+                if a == b:
+                    continue
+                if shards[a] != shard:
+                    shard, ids, points, tree = shards[a], [], [], None
+                own = batch.column("id").slice(a, b - a).to_numpy()
+                vectors = _matrix(batch.column("v").slice(a, b - a), width)
+                if not asking[a]:
+                    ids.append(own)
+                    points.append(vectors)
+                    continue
+                if tree is None:
+                    every = np.concatenate(points) if points else np.zeros((0, width), dtype=np.int64)
+                    tree = BallTree(np.concatenate([*ids, np.zeros(0, dtype=np.int64)]).astype(np.int64), every)
+                    ids, points = [], []
+                floors = batch.column("floor").slice(a, b - a).to_numpy()
+                for c in range(0, b - a, block):
+                    part = slice(c, c + block)
+                    yield _results(own[part].tolist(), tree.search(own[part], vectors[part], k, floors[part]))
 
     return rows
 
 
+def _results(own, best):
+    out = [(q, i, -x) for q, found in zip(own, best) for x, i in found]
+    columns = zip(*out) if out else ((), (), ())
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
 def top_k(
     vectors: DataFrame, queries: Column, k: int, id: str = "vec_id", vector: str = "embedding",
     shard: int = SHARD, block: int = QUERIES, pilot: int = PILOT,
@@ -224,34 +311,40 @@ def top_k(
         .groupBy("id", "v").agg(F.max("q").alias("q"))
         .withColumn("hash", F.xxhash64("id", "v"))
     )
-    n, asked = usable.agg(F.count("*"), F.coalesce(F.sum("q"), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    first = usable.orderBy("hash", "id").limit(pilot).select("id", "v").collect()
-    floors = (
-        usable.where("q = 1")
-        .select("id", "v", F.pmod(F.shiftright("hash", 20), F.lit(blocks)).alias("part"))
-        .mapInArrow(
-            _floors(k, [r.id for r in first], [r.v for r in first]),
-            "id bigint, v array<bigint>, part bigint, floor double",
-        )
+    far = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
+    n, width, largest = usable.agg(
+        F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(far), F.lit(0.0))
+    ).first()
+    shard = max(1, min(shard, SHARD_BYTES // (8 * max(width, 1))))
+    # at most ``pilot`` vectors
+    first = usable.orderBy("hash", "id").limit(pilot).select("id", "v").toArrow().combine_chunks()
+    points = _matrix(pa.array(first["v"].to_pylist(), pa.list_(pa.int64())), width)
+    ids = first["id"].to_pylist()
+    # a leaf is fitted on four points at least
+    leaves = Leaves(points.astype(np.float64), max(1, min(LEAVES, -(-n // shard), len(ids) // 4)))
+    placed = usable.mapInArrow(
+        _placed(leaves, width), "id bigint, v array<bigint>, q int, hash bigint, leaf bigint, far double"
     )
-    candidates = usable.select(
-        F.pmod("hash", F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"),
-        F.array("id").alias("ids"), F.array("v").alias("vectors"), F.array(F.lit(0.0)).alias("floors"),
-    )
-    wanted = (
-        floors.groupBy("part")
-        .agg(F.collect_list(F.struct("id", "v", "floor")).alias("all"))
-        .select(
-            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"),
-            F.col("all.id").alias("ids"), F.col("all.v").alias("vectors"), F.col("all.floor").alias("floors"),
-        )
+    radius, many = np.zeros(len(leaves.centre)), np.zeros(len(leaves.centre), dtype=np.int64)
+    # one row per leaf
+    for row in placed.groupBy("leaf").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
+        radius[row.leaf], many[row.leaf] = row.far * (1 + 1e-9), -(-row.n // shard)
+    base = np.concatenate(([0], np.cumsum(many)))
+    sent = _sent(k, ids, points, leaves, radius, base, largest)
+    shape = "shard int, query boolean, id bigint, v array<bigint>, floor double"
+    wanted = usable.where("q = 1").select("id", "v").mapInArrow(sent, shape)
+    of = F.array(*[F.lit(x) for x in base.tolist()])
+    part = F.pmod(F.shiftright("hash", 8), of[F.col("leaf").cast("int") + 1] - of[F.col("leaf").cast("int")])
+    candidates = placed.select(
+        (of[F.col("leaf").cast("int")] + part).cast("int").alias("shard"), F.lit(False).alias("query"), "id", "v",
+        F.lit(0.0).alias("floor"),
     )
+    shards = max(1, int(base[-1]))
     found = (
         candidates.unionByName(wanted)
-        .repartition(shards, "shard")
+        .repartitionByRange(shards, "shard")
         .sortWithinPartitions("shard", "query")
-        .mapInArrow(_searched(k), "query_id bigint, vec_id bigint, score bigint")
+        .mapInArrow(_searched(k, width, block), "query_id bigint, vec_id bigint, score bigint")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,4 +87,39 @@ def test_scores_beyond_53_bits(spark):
 
 def test_matrix_keeps_64_bits():
     whole = 2**53 + 1
-    assert topk._matrix([[whole]], 1).tolist() == [[whole]]
+    lists = pa.array([[1], [whole, 2], [], [whole]], pa.list_(pa.int64()))
+    assert topk._matrix(lists, 2).tolist() == [[1, 0], [whole, 2], [0, 0], [whole, 0]]
+    assert topk._matrix(lists.slice(1, 1), 2).tolist() == [[whole, 2]] and topk._matrix(lists.slice(3), 1).tolist() == [[whole]]
+
+
+def test_queries_travel_only_where_results_can_be(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 8))
+    points = centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 8)) * 0.03
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sent, shards = [], []
+    inner = topk._sent
+    monkeypatch.setattr(topk, "_sent", lambda *a: (sent.append(inner(*a)), shards.append(int(a[5][-1])), sent[0])[2])
+    got = found(df, 5, shard=100)
+    scores = np.floor(256 * points).astype(np.int64)
+    for i in range(0, 3000, 155):
+        own = scores @ scores[i]
+        own[i] = -(10**15)
+        want = np.lexsort((np.arange(3000), -own))[:5]
+        assert [(r, j, x) for q, r, j, x in got if q == i] == [(k + 1, j, own[j]) for k, j in enumerate(want.tolist())]
+    queries = pa.record_batch([pa.array(range(0, 3000, 5)), pa.array(scores[::5].tolist())], names=["id", "v"])
+    pairs = sum(b.num_rows for b in sent[0](iter([queries])))
+    assert shards[0] >= 30 and pairs < 0.5 * 600 * shards[0]
+
+
+def test_leaves_are_even_and_equal_points_stay_together():
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(4000, 6))
+    points[::3] = points[0]
+    leaves = topk.Leaves(points, 16)
+    of = leaves.of(points)
+    counts = np.bincount(of, minlength=len(leaves.centre))
+    assert len(set(of[::3].tolist())) == 1 and counts.min() > 0 and np.sort(counts)[:-1].max() < 700
+    for leaf in range(len(leaves.centre)):
+        assert np.allclose(leaves.centre[leaf], points[of == leaf].mean(axis=0))
