@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,18 +80,21 @@ def _inputs(difference: Column, text: Column) -> tuple[Column, Column]:
 
 
 def _dictionary(rows: list[list[str]]) -> bytes:
-    """Passages of the texts in turn, each different text once, up to DICTIONARY bytes."""
-    different = list({tuple(r): None for r in rows})
-    parts, size = [], 0
+    """Passages of the texts, each different one once, up to DICTIONARY bytes.
+
+    Texts give a passage each in turn, and each text its own in the order of their hash, so
+    beginnings, middles and ends have like shares however many texts there are.
+    """
+    order = lambda p: (xxhash.xxh64_intdigest(p), p)
+    own = [sorted({p.encode("utf-8", "surrogatepass") for p in passages if p}, key=order) for passages in rows]
+    parts, size = {}, 0
     for k in range(PASSAGES):
-        for passages in different:
-            if k and passages[k] == passages[k - 1]:
-                continue
-            part = passages[k].encode("utf-8", "surrogatepass")
-            if size + len(part) + 1 > DICTIONARY:
-                return b"\n".join(parts)
-            parts.append(part)
-            size += len(part) + 1
+        for passages in own:
+            if k < len(passages) and passages[k] not in parts:
+                size += len(passages[k]) + 1
+                if size > DICTIONARY:
+                    return b"\n".join(parts)
+                parts[passages[k]] = None
     return b"\n".join(parts)
 
 
@@ -118,7 +122,8 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str
     half = F.pmod("order", F.lit(2))
     dictionaries = []
     for value in (0, 1):
-        step = F.floor(F.greatest(F.length("text") - PASSAGE, F.lit(0)) / PASSAGES).cast("int")
+        # a text of up to PASSAGES * PASSAGE characters is cut up whole, a longer one at even distances
+        step = F.greatest(F.lit(PASSAGE), F.floor((F.length("text") - PASSAGE) / (PASSAGES - 1))).cast("int")
         passages = F.transform(
             F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substring("text", 1 + i * step, F.lit(PASSAGE))
         )
@@ -171,7 +176,12 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``."""
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``.
+
+    A null text is scored as the empty one; a null id is not held out. Repeated rows each have
+    their score. Without labels every score is a half; no rows: no rows. Other columns are not
+    looked at. Lowers the session's Arrow batch limits.
+    """
     model = fit(labelled_documents(docs, labels))
     return docs.select(
         "doc_id", held_out().alias("held_out"), score(model, F.col("text")).alias("score")
@@ -179,6 +189,6 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def without_rejects(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; see ``scored``."""
     model = fit(labelled_documents(docs, labels))
     return docs.where(score(model, F.col("text")) >= threshold)
