@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 2000
@@ -80,6 +80,49 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def then(value: Column, use) -> Column:
+    """``use(value)``, where ``value`` is evaluated once however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Numbers that ``running`` folds at a time.
+RUNNING = 128
+
+
+def running(numbers: Column, fold=lambda a, b: a + b) -> Column:
+    """For each of an array of numbers the fold, from 0 on, of those before it, as bigints.
+
+    ``fold`` is associative, such as a sum or a maximum. An array grown by an aggregate is copied
+    at each step, so blocks are folded first and then each by itself: the cost is linear but
+    for the number of blocks.
+    """
+    zero = F.lit(0).cast("bigint")
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def folds(values: Column, start: Column) -> Column:
+        return F.aggregate(
+            values,
+            F.struct(start.alias("at"), none.alias("all")),
+            lambda done, v: F.struct(
+                fold(done["at"], v).cast("bigint").alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")
+            ),
+            lambda x: x["all"],
+        )
+
+    def of(values: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / RUNNING).cast("int")),
+            lambda b: F.slice(values, b * RUNNING + 1, F.lit(RUNNING)),
+        )
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda done, v: fold(done, v).cast("bigint")))
+        both = F.arrays_zip(blocks.alias("b"), folds(sums, zero).alias("at"))
+        return F.flatten(F.transform(both, lambda x: folds(x["b"], x["at"])))
+
+    return then(then(F.transform(numbers, lambda v: v.cast("bigint")), of), joined)
+
+
 def slices(lengths, most: int):
     """Cut rows into runs of at most ``most`` in total length, each of one row at least."""
     start, size = 0, 0

@@ -171,25 +171,49 @@ _WORDS = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' '
 _BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
 _LICENSE_SQL = rf"""
-WITH template(license, wording) AS (
-  VALUES {", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)}
+WITH template(id, license, wording) AS (
+  VALUES {", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(licenses.TEMPLATES))}
 ), known AS (
-  SELECT license, {_BIGRAMS} AS b FROM (SELECT license, {_WORDS.format("wording")} AS w FROM template)
+  SELECT id, license, len(w) AS n, greatest(1, len(w) // {licenses.STEPS}) AS step, {_BIGRAMS} AS b
+  FROM (SELECT id, license, {_WORDS.format("wording")} AS w FROM template)
+), holds AS (SELECT id, n, step, unnest(b) AS phrase, len(b) AS many FROM known
+), phrase AS (
+  SELECT DISTINCT phrase FROM (
+    SELECT phrase, many, row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, phrase) AS place FROM holds
+  ) WHERE place <= floor(many * (1 - {licenses.DICE} / (2 - {licenses.DICE})) + 1e-9) + 1
 ), unit AS (
   SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS x FROM documents
   UNION ALL SELECT doc_id, 'block', unnest(regexp_split_to_array(text, '
-[ 	
-]*
+[ 	]*
 ')) FROM documents
   UNION ALL SELECT doc_id, 'text', text FROM documents
-), sized AS (
-  SELECT doc_id, kind, w, {_BIGRAMS} AS b FROM (SELECT doc_id, kind, {_WORDS.format("x")} AS w FROM unit)
-  WHERE len(w) BETWEEN 3 AND 2000
+), worded AS (SELECT doc_id, kind, row_number() OVER () AS u, {_WORDS.format("x")} AS w FROM unit
+), sized AS (SELECT doc_id, kind, u, w, {_BIGRAMS} AS b FROM worded WHERE len(w) >= 3
 ), scored AS (
-  SELECT doc_id, kind, w, license,
+  SELECT doc_id, kind, u, 0 AS i, w, license,
          2 * len(list_intersect(sized.b, known.b)) / (len(sized.b) + len(known.b)) AS dice
   FROM sized JOIN known ON len(sized.b) * 3 >= len(known.b) * 2 - 0.01 AND len(sized.b) * 2 <= len(known.b) * 3 + 0.01
-), found AS (SELECT * FROM scored WHERE dice >= {licenses.DICE})
+), pair AS (
+  SELECT doc_id, u, i, w[i + 1] || ' ' || w[i + 2] AS phrase
+  FROM (SELECT doc_id, u, w, unnest(range(len(w) - 1)) AS i FROM worded WHERE kind = 'text')
+), hit AS MATERIALIZED (SELECT doc_id, u, i, id, n, step FROM pair SEMI JOIN phrase USING (phrase) JOIN holds USING (phrase)
+), start AS (
+  SELECT doc_id, u, i, id, n, unnest(range(CAST(greatest(0, ceil((i + 2 - n) / step)) AS BIGINT), i // step + 1)) * step AS s
+  FROM hit
+), window_ AS MATERIALIZED (
+  SELECT doc_id, u, id, s, x AS w, {_BIGRAMS.replace("w[", "x[").replace("len(w)", "len(x)")} AS b
+  FROM (SELECT doc_id, u, id, s, w[s + 1:s + n] AS x FROM (SELECT DISTINCT doc_id, u, id, n, s FROM start) JOIN worded USING (doc_id, u))
+), measured AS (
+  SELECT doc_id, 'window' AS kind, u, id, s, w, license,
+         2 * len(list_intersect(window_.b, known.b)) / (len(window_.b) + len(known.b)) AS dice
+  FROM window_ JOIN known USING (id)
+), every AS (
+  SELECT * FROM scored WHERE dice >= {licenses.DICE}
+  UNION ALL
+  SELECT doc_id, kind, u, i, w, license, dice FROM start JOIN measured USING (doc_id, u, id, s) WHERE dice >= {licenses.DICE}
+), found AS (
+  SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, kind, u, i ORDER BY dice DESC, license) = 1
+)
 SELECT d.doc_id,
        coalesce((SELECT string_agg(DISTINCT license, ',' ORDER BY license) FROM found f WHERE f.doc_id = d.doc_id), '')
          AS licenses,
