@@ -8,11 +8,11 @@ How it is spread out. Comparing each shard's suffix array with every other
 shard's grows with the square of their number, so shards are not made of
 neighbouring documents but of strings that can be equal:
 
-1. The *anchor* of a window of ``length`` bytes is its 16-byte gram of least
-   hash, the leftmost if equal. Equal windows have equal anchors at equal offsets,
-   so they meet under the anchor's hash. The windows of one anchor are one run of
-   starts, about 93 on average; the *piece* is the run's bytes. Rows hold two
-   hashes, the document's row and the run, never text.
+1. The *anchor* of a window of ``length`` bytes is its gram of least hash, 48 bytes
+   for windows of 200, the leftmost if equal. Equal windows have equal anchors at equal
+   offsets, so they meet under the anchor's hash. The windows of one anchor are one run of
+   starts; the *piece* is the run's bytes. Rows hold two hashes, the document's row
+   and the run, never text. A wide gram has more runs, but few unlike pieces share one.
 2. Anchors that occur once are dropped: none of their windows is repeated.
 3. Copies of a piece are counted before their text is fetched once (a *class*).
    A class alone under its anchor needs no text.
@@ -56,7 +56,24 @@ def _words(data: np.ndarray, order: str) -> np.ndarray:
 
 
 def _gram(length: int) -> int:
-    return 16 if length >= 64 else 8
+    return next(gram for least, gram in ((144, 48), (96, 32), (64, 16), (0, 8)) if length >= least)
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes (8, 16, 32 or 48) from each place on; zeros follow the data."""
+    n = len(data)
+    narrower = hashes = _words(np.concatenate((data, np.zeros(gram + 8, dtype=np.uint8))), "<") * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(31)
+    width = 8
+    while width < gram:
+        # twice as wide, or half as wide again
+        more = hashes if 2 * width <= gram else narrower
+        narrower = hashes
+        hashes = hashes[: len(more) - width] * np.uint64(0xC2B2AE3D27D4EB4F) + more[width:]
+        hashes ^= hashes >> np.uint64(29)
+        width = min(2 * width, gram)
+    hashes = hashes[:n] * np.uint64(0x165667B19E3779F9)
+    return hashes ^ (hashes >> np.uint64(32))
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int):
@@ -66,14 +83,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     """
     gram = _gram(length)
     n = len(data)
-    padded = np.concatenate((data, np.zeros(32, dtype=np.uint8)))
-    head = _words(padded, "<")
-    hashes = head[:n] * np.uint64(0x9E3779B97F4A7C15)
-    hashes ^= hashes >> np.uint64(31)
-    hashes += head[gram - 8 : gram - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= np.uint64(0x165667B19E3779F9)
-    hashes ^= hashes >> np.uint64(32)
+    hashes = _gram_hashes(data, gram)
     # the upper bits order the grams, the lower ones are the place
     low = np.uint64((1 << _PLACE) - 1)
     least = (hashes & ~low) | np.arange(n, dtype=np.uint64)
