@@ -34,6 +34,7 @@ PASSAGE = 512
 CALIBRATE = 4000
 BLOCK = 1024
 LEVEL = 6
+SEED = 42
 #: Bytes added to each length, and the length at which a text counts as half short.
 SPARE, SHORT = 64, 100
 
@@ -85,7 +86,7 @@ def _dictionary(rows: list[list[str]]) -> bytes:
     Texts give a passage each in turn, and each text its own in the order of their hash, so
     beginnings, middles and ends have like shares however many texts there are.
     """
-    order = lambda p: (xxhash.xxh64_intdigest(p), p)
+    order = lambda p: (xxhash.xxh64_intdigest(p, SEED), p)
     own = [sorted({p.encode("utf-8", "surrogatepass") for p in passages if p}, key=order) for passages in rows]
     parts, size = {}, 0
     for k in range(PASSAGES):

@@ -57,3 +57,10 @@ def test_dictionary_is_bounded():
     assert len(quality._dictionary(rows)) <= quality.DICTIONARY
     assert quality._dictionary([]) == b""
     assert quality._dictionary([["a", "b"] + ["b"] * 6, ["a", "b"] + ["b"] * 6]) == b"a\nb"
+
+
+def test_passages_of_every_place_have_like_shares():
+    rows = [[f"{place} of text {i} " * 20 for place in range(quality.PASSAGES)] for i in range(3000)]
+    kept = [p[:1] for p in quality._dictionary(rows).decode().split("\n")]
+    shares = [kept.count(str(place)) / len(kept) for place in range(quality.PASSAGES)]
+    assert len(kept) > 1000 and all(0.08 < share < 0.17 for share in shares)
