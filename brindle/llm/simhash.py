@@ -52,7 +52,11 @@ def fingerprint(text: str, size: int = 3) -> int:
     last = max(len(words) - size, 0)
     hashed = xxhash.xxh64_intdigest
     pairs = zip(starts[: last + 1].tolist(), ends[-(last + 1) :].tolist())
-    hashes = np.array([hashed(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+    return majority(np.array([hashed(joined[a:b], SEED) for a, b in pairs], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the 64-bit hashes, as an unsigned integer; none give 0."""
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), _BLOCK):
         bits = np.unpackbits(hashes[k : k + _BLOCK].view(np.uint8), bitorder="little")

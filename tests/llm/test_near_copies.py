@@ -1,43 +1,17 @@
 from __future__ import annotations
 
 import random
-import re
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brindle.llm import near_copies
 from brindle.llm.common import written
 from brindle.sources.tables import read_table
+from tests.llm.brute_force import slow_kept
 from tests.llm.test_pipeline import SF
 
 
-def slow_set(text, size=5):
-    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
-    return frozenset(tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))) if words else frozenset()
-
-
-def slow_kept(texts, likeness=0.8):
-    """texts: id to text. The least ids of the groups that all pairs join."""
-    sets = {i: slow_set(t) for i, t in texts.items()}
-    holders, root = {}, {i: i for i in texts}
-    for i, s in sets.items():
-        for x in s or [None]:
-            holders.setdefault(x, []).append(i)
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in sorted(sets):
-        for j in {j for x in sets[i] or [None] for j in holders[x] if j < i}:
-            common = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or common >= likeness * (len(sets[i]) + len(sets[j]) - common):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    return {top(i) for i in texts}
-
-
 def test_stage_removes_near_copies_of_five_words(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(900)]
@@ -73,3 +47,36 @@ def test_keys_of_near_copies_meet():
         assert near_copies.jaccard(a, b) == 0.8
         missed += not any(x == y for x, y in zip(near_copies.band_keys(a), near_copies.band_keys(b)))
     assert missed <= 1
+
+
+def test_bit_maps_tell_no_more_than_the_sets(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in (0, 1, 5, 32, 33, 64, 65, 146, 700):
+        for _ in range(6):
+            a = {rng.getrandbits(64) - 2**63 for _ in range(n)}
+            b = set(rng.sample(sorted(a), int(n * 0.85))) | {rng.getrandbits(64) - 2**63 for _ in range(rng.randint(0, n // 4))}
+            rows.append((sorted(a), sorted(b)))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    of = near_copies._bit_map()
+    got = df.select(of("a").alias("x"), of("b").alias("y"), F.size("a"), F.size("b")).select(
+        near_copies._bits_apart(F.col("x"), F.col("y")), "*"
+    )
+    for row, (a, b) in zip(got.collect(), rows):
+        apart = len(set(a) ^ set(b))
+        assert 0.6 * apart <= row[0] <= apart and len(row.x) * 64 >= 2 * len(a)
+
+
+def test_a_cloud_of_texts_below_the_threshold(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(500)]
+    base = rng.choices(words, k=150)
+    texts = {}
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4, 5, 6, 7])):
+            w[at] = rng.choice(["one", "two", words[k % 7]])
+        texts[k] = " ".join(w)
+    df = written(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, df, SF).collect()}
+    assert got == slow_kept(texts) and 20 < len(got) < 280

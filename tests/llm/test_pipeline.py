@@ -4,9 +4,9 @@ import corpus_pipeline
 from brindle.llm import quality
 from brindle.llm.common import written
 from brindle.sources.tables import read_table
+from tests.llm.brute_force import slow_kept
 from tests.llm.test_packing import check
 from tests.llm.test_secrets import slow_base
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tests.llm.test_suffix_dedup import slow_spans
 
 SF = "/root/testdata/sf0.01"
@@ -45,8 +45,7 @@ def test_every_stage_equals_brute_force(spark):
     scored = quality.scored(docs, read_table(spark, SF, "labels")).collect()
     assert good.keys() == {r.doc_id for r in scored if r.predicted} and len(good) < len(scored)
 
-    groups = slow_components([(i, slow_fingerprint(r.text)) for i, r in good.items()])
-    assert single.keys() == {root for _, _, root in groups}
+    assert single.keys() == slow_kept({i: r.text for i, r in good.items()}) and len(single) < len(good)
     assert all(single[i] == good[i] for i in single)
 
     raw = {i: r.text.encode() for i, r in single.items()}
