@@ -173,24 +173,29 @@ def _close_prints(least: DataFrame, radius: int) -> DataFrame:
 
 
 def _prefix_pairs(left: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """Pairs ``u``, ``v`` of ``left`` (u, n, root) of different roots that may be as alike as ``likeness``: none is missed."""
-    mine = left.join(sets, "u")
-    held = mine.select("u", "n", "root", F.explode("set").alias("x"))
+    """Pairs ``u``, ``v`` of ``left`` (u, n, root), a checkpoint, of different roots that may be as alike as ``likeness``: none is missed."""
+    # rows of two numbers for each shingle: what else is known of a set is joined to its few keys
+    numbered = left.withColumn("i", F.monotonically_increasing_id())
+    mine = numbered.join(sets, "u")
+    about = mine.select("i", "u", "n", "root", _bit_map()("set").alias("bits"))
+    held = mine.select("i", F.explode("set").alias("x"))
     common = held.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("i")
     ranked = (
         held.join(dealt(common), "x")
-        .withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("df", "x")))
-        .withColumn("m", F.count("*").over(Window.partitionBy("u")))
+        .withColumn("place", F.row_number().over(own.orderBy("df", "x")))
+        .withColumn("m", F.count("*").over(own))
     )
     # own shingles come first: of the others the first m - ceil(t n) + 1 are left
     keys = checkpointed(
-        ranked.where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * likeness - 1e-6) + 1).select("x", "u", "n", "m", "root")
+        ranked.join(numbered.select("i", "n", "root"), "i")
+        .where(F.col("place") <= F.col("m") - F.ceil(F.col("n") * likeness - 1e-6) + 1)
+        .select("x", "i", "m", "root")
     )
     roots = keys.groupBy("x", "root").agg(F.count("*").alias("many"))
     largest = roots.groupBy("x").agg(F.max_by("root", F.struct("many", "root")).alias("largest"), F.count("*").alias("roots"))
     mixed = dealt(largest.where("roots > 1").select("x", "largest"))
-    maps = mine.select("u", _bit_map()("set").alias("bits"))
-    every = checkpointed(keys.join(mixed, "x").join(maps, "u"))
+    every = checkpointed(keys.drop("root").join(mixed, "x").join(about, "i").drop("i"))
     others = every.where("root <> largest").select(
         "x", F.col("u").alias("v"), F.col("n").alias("k"), F.col("m").alias("l"), F.col("root").alias("other"),
         F.col("bits").alias("map"),
