@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import running
+
 # Control strings and escapes.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
@@ -114,7 +116,8 @@ def conversations(
     ``loss`` has (turn, start, end) for each assistant turn, counted in code points of
     ``formatted``, ``turn`` being its place from 0. ``attachments`` are (turn, type,
     ref, tokens) in order. A conversation is one row by nature, so the turns of the
-    longest must fit into memory; before that each turn is formatted where it lies.
+    longest must fit into memory; before that each turn is formatted where it lies. A null
+    id is a conversation of its own. No turns: no conversations. Other columns are not looked at.
     """
     pieces = formatted_turns(
         turns.select(F.col(id).alias("id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
@@ -122,19 +125,19 @@ def conversations(
     whole = pieces.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "piece", "loss_start", "loss_end", "attachments"))).alias("t")
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.expr(f"cast(array() as {_LOSS})").alias("loss"))
-
-    def step(done, t):
-        span = F.struct(
-            done["n"].alias("turn"), (done["at"] + t["loss_start"]).alias("start"), (done["at"] + t["loss_end"]).alias("end")
-        )
-        learn = F.coalesce(t["role"] == "assistant", F.lit(False))
-        return F.struct(
-            (done["at"] + F.length(t["piece"])).alias("at"),
-            (done["n"] + 1).alias("n"),
-            F.when(learn, F.concat(done["loss"], F.array(span))).otherwise(done["loss"]).alias("loss"),
-        )
-
+    starts = running(F.transform("t", lambda t: F.length(t["piece"])))
+    placed = F.transform(
+        F.arrays_zip(F.col("t").alias("t"), starts.alias("at")), lambda x, n: x.withField("n", n)
+    )
+    learn = F.filter(placed, lambda x: F.coalesce(x["t"]["role"] == "assistant", F.lit(False)))
+    loss = F.transform(
+        learn,
+        lambda x: F.struct(
+            x["n"].alias("turn"),
+            (x["at"] + x["t"]["loss_start"]).cast("int").alias("start"),
+            (x["at"] + x["t"]["loss_end"]).cast("int").alias("end"),
+        ),
+    )
     attached = F.transform(
         F.col("t"),
         lambda t, n: F.transform(
@@ -145,7 +148,7 @@ def conversations(
     return whole.select(
         F.col("id").alias(id),
         F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("formatted"),
-        F.aggregate("t", start, step, lambda x: x["loss"]).alias("loss"),
+        loss.cast(_LOSS).alias("loss"),
         F.flatten(attached).alias("attachments"),
     )
 
@@ -170,15 +173,8 @@ def _chunks(formatted: Column) -> Column:
 def learned(formatted: Column, loss: Column) -> Column:
     """The unescaped texts under the loss mask, in order."""
     chunks = _chunks(formatted)
-    zero = F.expr("cast(array() as array<int>)")
-    starts = F.aggregate(
-        chunks,
-        F.struct(F.lit(len(TURN)).alias("at"), zero.alias("all")),
-        lambda done, c: F.struct(
-            (done["at"] + F.length(c) + len(TURN)).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")
-        ),
-        lambda x: x["all"],
-    )
+    sizes = F.transform(chunks, lambda c: F.length(c) + len(TURN))
+    starts = F.transform(running(sizes), lambda at: (at + len(TURN)).cast("int"))
     both = F.array(F.struct(chunks.alias("chunks"), starts.alias("starts"), loss.alias("loss")))
     texts = F.transform(
         both,

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,22 @@ def test_round_trip(spark):
         assert [tuple(t) for t in r.turns] == [x[1:] for x in own]
         assert list(r.loss) == [x[2] for x in own if x[1] == "assistant"]
     assert chat.conversations(df.limit(0).withColumn("content", chat.text_part(F.col("text")))).count() == 0
+
+
+def test_long_conversations_cost_no_more_for_each_turn(spark):
+    seconds = []
+    for n in (6000, 24_000):
+        turns = spark.range(n).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+            F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+            chat.text_part(F.concat(F.lit("short [text] "), F.col("id").cast("string"))).alias("content"),
+        )
+        begin = time.perf_counter()
+        done = chat.conversations(turns)
+        read = done.select(
+            F.size(chat.read_back(F.col("formatted"))).alias("n"), chat.learned(F.col("formatted"), F.col("loss")).alias("loss")
+        )
+        (row,) = read.collect()
+        seconds.append(time.perf_counter() - begin)
+        assert row.n == n and list(row.loss) == [f"short [text] {k}" for k in range(1, n, 2)]
+    assert seconds[1] < 7 * seconds[0] + 2
