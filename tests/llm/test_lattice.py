@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
+import uuid
 
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from brindle.llm import lattice
 from brindle.llm.queries import op3_relational_lattice
@@ -86,3 +91,41 @@ def test_words_are_not_shuffled_again(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
     plan = lattice.encoded(df, PIECES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_query_shuffles_less_than_its_input(spark, conf):
+    sf = "/root/testdata/sf0.01"
+    conf(shuffle__partitions=12)
+    files = lambda: {f.toString(): f.length() for f in _shuffled(spark)}
+    before = files()
+    done = op3_relational_lattice(spark, sf)
+    done.write.format("noop").mode("overwrite").save()
+    written = sum(n for f, n in files().items() if f not in before)
+    assert 0 < written < 1.5 * os.path.getsize(f"{sf}/documents.parquet")
+
+
+def _shuffled(spark):
+    all_ = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [all_.apply(k) for k in range(all_.length())]
+
+
+def test_edges_are_not_kept_for_sorting_or_grouping(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    plan = lattice.encoded(df, PIECES)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Sort [") == plan.count("Sort [cell") == 1
+
+
+def test_documents_that_change_while_they_are_read_are_an_error(spark):
+    drawn = F.udf(lambda n: uuid.uuid4().hex).asNondeterministic()
+    df = spark.range(300).select(F.col("id").alias("doc_id"), drawn("id").alias("text"))
+    with pytest.raises(PythonException, match="changed while"):
+        lattice.encoded(df, PIECES).collect()
+
+
+def test_words_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "EDGES", 50)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [f"same words {k % 7} in every cell" + " é日" * (k % 3) for k in range(100)] + [None, "", "x" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(9).cache()
+    for r in lattice.encoded(df, PIECES).collect():
+        assert list(r.ids) == sp.encode(texts[r.doc_id] or "") and r.decodes
