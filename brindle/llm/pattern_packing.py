@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,21 +74,26 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self._known = pa.array([], pa.string())
+        self._known: dict[str, int] = {}
         self._ids, self._counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _places(self, parts: pa.Array) -> np.ndarray:
         """Where each of the different ``parts`` is among those known, once it is."""
         if len(self._known) > _KNOWN:
             self._forget()
-        missing = parts.filter(pc.is_null(pc.index_in(parts, value_set=self._known)))
+        texts = parts.to_pylist()
+        # a table kept in a dictionary is not built again for each call
+        place = np.fromiter(map(self._known.get, texts, repeat(-1)), np.int64, len(texts))
+        missing = np.flatnonzero(place < 0)
         if len(missing):
-            found = [e.ids for e in self._of.encode_batch_fast(missing.to_pylist(), add_special_tokens=False)]
-            self._known = pa.concat_arrays([self._known, missing])
+            new = [texts[k] for k in missing.tolist()]
+            found = [e.ids for e in self._of.encode_batch_fast(new, add_special_tokens=False)]
+            place[missing] = np.arange(len(self._known), len(self._known) + len(new))
+            self._known.update(zip(new, place[missing].tolist()))
             counts = np.array([len(x) for x in found], dtype=np.int64)
             ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
             self._ids, self._counts = np.concatenate([self._ids, ids]), np.concatenate([self._counts, counts])
-        return pc.index_in(parts, value_set=self._known).to_numpy()
+        return place
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. texts: strings without nulls, under 2 GB in all."""

@@ -138,3 +138,11 @@ def test_odd_rows(spark):
     check(got.collect(), docs)
     check(pp.packed(df, PATH, size=7).collect(), docs, size=7)
     assert pp.packed(df.limit(0), PATH).count() == 0
+
+
+def test_known_parts_are_kept_in_one_table(monkeypatch):
+    monkeypatch.setattr(pp.pc, "index_in", lambda *_, **__: pytest.fail("all that is known is hashed again"))
+    encoder = pp.Encoder(open(PATH, encoding="utf-8").read())
+    tok = Tokenizer.from_file(PATH)
+    for text in ("one two. three!", "two four? é 日本", "", "  ...", "one"):
+        assert encoder.encode(pa.array([text]))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
