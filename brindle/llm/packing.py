@@ -49,6 +49,31 @@ _KNOWN = 400_000
 _SENTENCE = r"[.!?…][\"'»”’)\]]*$"
 #: A letter or digit and the signs, but for apostrophes, that end a part.
 _SIGNS = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+)$"
+#: Last bytes of what _SENTENCE and _SIGNS may match.
+_MAY_END, _MAY_SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_MAY_END[list(".!?…\"'»”’)]".encode())] = True
+_MAY_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
+def _last_bytes(parts: pa.Array) -> np.ndarray:
+    """The last byte of each string, 0 for the empty one."""
+    offsets = np.frombuffer(parts.buffers()[1], dtype=np.int32)[parts.offset : parts.offset + len(parts) + 1]
+    if offsets[0] == offsets[-1]:
+        return np.zeros(len(parts), dtype=np.uint8)
+    data = np.frombuffer(parts.buffers()[2], dtype=np.uint8)
+    return np.where(np.diff(offsets) > 0, data[np.maximum(offsets[1:] - 1, 0)], 0)
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each i the ``many[i]`` numbers from ``first[i]`` on, one after the other."""
+    upto = np.cumsum(many)
+    return np.repeat(first - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def _where(may: np.ndarray, parts: pa.Array, test) -> pa.Array:
+    """``test`` of the parts that ``may`` marks, false for the others."""
+    mask = pa.array(may)
+    return pc.replace_with_mask(pa.array(np.zeros(len(parts), dtype=bool)), mask, test(parts.filter(mask)))
 
 
 class Encoder:
@@ -111,37 +136,46 @@ class Encoder:
         """Where each of the different ``parts`` is among those known, once it is."""
         if len(self._known) > _KNOWN:
             self._forget()
-        missing = parts.filter(pc.is_null(pc.index_in(parts, value_set=self._known)))
+        # looked up once: each look-up hashes all that is known
+        place = pc.fill_null(pc.index_in(parts, value_set=self._known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(place < 0)
         if len(missing):
-            letters = pc.match_substring_regex(missing, r"^\pL+$")
-            words, others = missing.filter(letters), missing.filter(pc.invert(letters))
+            new = parts.take(pa.array(missing))
+            letters = pc.match_substring_regex(new, r"^\pL+$")
+            words, others = new.filter(letters), new.filter(pc.invert(letters))
             found = [self._words(words.to_pylist()), self._others(others.to_pylist())]
+            order = np.argsort(~letters.to_numpy(zero_copy_only=False), kind="stable")
+            place[missing[order]] = np.arange(len(self._known), len(self._known) + len(missing))
             self._known = pa.concat_arrays([self._known, words, others])
             self._ids = np.concatenate([self._ids, *found[0][0], *found[1][0]])
             self._counts = np.concatenate([self._counts, *found[0][1], *found[1][1]]).astype(np.int64)
-        return pc.index_in(parts, value_set=self._known).to_numpy()
+        return place
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, without the last one, and the counts of ids at sentence ends."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         codes = lists.flatten().dictionary_encode()
         parts = codes.dictionary
-        ends = pc.match_substring_regex(parts, _SENTENCE).to_numpy(zero_copy_only=False)
+        last = _last_bytes(parts)
+        ends = _where(_MAY_END[last], parts, lambda x: pc.match_substring_regex(x, _SENTENCE)).to_numpy(zero_copy_only=False)
         special = pc.match_substring(parts, "<|")
         small = pc.if_else(pc.and_not(pc.string_is_ascii(parts), special), pc.ascii_lower(parts), parts)
-        signed = pc.and_not(pc.match_substring_regex(small, _SIGNS), special)
-        stem = pc.if_else(signed, pc.replace_substring_regex(small, _SIGNS, r"\1"), small)
-        tail = pc.if_else(signed, pc.replace_substring_regex(small, r"(?s)^.*" + _SIGNS, r"\2"), "")
+        signed = pc.and_not(_where(_MAY_SIGN[last], small, lambda x: pc.match_substring_regex(x, _SIGNS)), special)
+        some = small.filter(signed)
+        stem = pc.replace_with_mask(small, signed, pc.replace_substring_regex(some, _SIGNS, r"\1"))
+        none = pa.array([""]).take(pa.array(np.zeros(len(small), np.int64)))
+        tail = pc.replace_with_mask(none, signed, pc.replace_substring_regex(some, r"(?s)^.*" + _SIGNS, r"\2"))
         both = pa.concat_arrays([stem, tail]).dictionary_encode()
         place = self._places(both.dictionary)[both.indices.to_numpy()].reshape(2, -1)
-        first = np.cumsum(self._counts) - self._counts
-
+        # the ids of each different part, and then of all
+        pieces = place.T.ravel()
+        both = self._counts[pieces]
+        ids = self._ids[_spread((np.cumsum(self._counts) - self._counts)[pieces], both)]
+        size = both.reshape(-1, 2).sum(axis=1)
         code = codes.indices.to_numpy()
-        pieces = place[:, code].T.ravel()
-        many = self._counts[pieces]
+        many = size[code]
         upto = np.concatenate(([0], np.cumsum(many)))
-        flat = self._ids[np.repeat(first[pieces] - upto[:-1], many) + np.arange(upto[-1])]
-        upto = upto[::2]
+        flat = ids[_spread((np.cumsum(size) - size)[code], many)]
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out = []
         for a, b in zip(offsets[:-1], offsets[1:]):

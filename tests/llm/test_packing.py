@@ -102,3 +102,16 @@ def test_odd_rows(spark):
 def test_tail():
     assert packing._tail(4096, 4096) == [4096] and packing._tail(4000, 4096) == [4000]
     assert packing._tail(700, 4096) == [512, 128, 32, 16, 8, 4]
+
+
+def test_known_parts_are_looked_up_once_for_each_text(monkeypatch):
+    calls = []
+    look_up = packing.pc.index_in
+    monkeypatch.setattr(packing.pc, "index_in", lambda *a, **k: calls.append(len(a[0])) or look_up(*a, **k))
+    encoder = packing.Encoder(open(PATH, encoding="utf-8").read())
+    tok = Tokenizer.from_file(PATH)
+    for text in ("one two. three!", "two four? (five) …\u201d six\u2026", "", "...", "one"):
+        assert encoder.encode(pa.array([text]))[0][0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 5
+    stops = encoder.encode(pa.array(["a. b\u2026 c\u201d d.\u201d e\xbb f!) g\u2019 h"]))[0][1]
+    assert len(stops) == 4
