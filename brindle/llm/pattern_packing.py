@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -118,6 +119,12 @@ class Encoder:
         return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    """The encoder of a worker process: what one task learns, the next ones of the process know."""
+    return Encoder(tokenizer)
+
+
 def patterns(histogram: np.ndarray) -> np.ndarray:
     """Rows of three lengths, ascending, zeros first, that sum to the last index of ``histogram``.
 
@@ -271,7 +278,7 @@ def _pieces(docs: DataFrame, tokenizer: str, size: int, end: int, id: str, text:
     kind = docs.schema[id].dataType
 
     def rows(batches):
-        encoder = Encoder(content)
+        encoder = _encoder(content)
         seen = np.zeros(size + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         names = [id, "piece", "start", "length", "ids_crc32", "part", "k"]

@@ -146,3 +146,21 @@ def test_known_parts_are_kept_in_one_table(monkeypatch):
     tok = Tokenizer.from_file(PATH)
     for text in ("one two. three!", "two four? é 日本", "", "  ...", "one"):
         assert encoder.encode(pa.array([text]))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_tasks_of_a_process_share_what_is_known(monkeypatch):
+    with open(PATH, encoding="utf-8") as file:
+        content = file.read()
+    plain = Tokenizer.from_file(PATH)
+    texts = ["some words, and more words", "more words\n and others", "", "words again"]
+    right = lambda some: [plain.encode(t, add_special_tokens=False).ids for t in some]
+    pp._encoder.cache_clear()
+    assert [x.tolist() for x in pp._encoder(content).encode(pa.array(texts))] == right(texts)
+    # the next task has another copy of the file's content
+    again = pp._encoder("".join(list(content)))
+    known = len(again._known)
+    assert known and [x.tolist() for x in again.encode(pa.array(texts[::-1]))] == right(texts[::-1])
+    assert len(again._known) == known
+    monkeypatch.setattr(pp, "_KNOWN", 2)
+    assert [x.tolist() for x in again.encode(pa.array(texts))] == right(texts)
+    pp._encoder.cache_clear()
